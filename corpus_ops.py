@@ -1,0 +1,219 @@
+"""Operators on the landed corpus; each takes (spark, sf_dir) or a documents frame and reads whole tables."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from hashlib import blake2b
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+#: A word is evidence of toxicity if the lower 95 % bound of its precision on the labels is at least this.
+PRECISION = 0.5
+SHINGLE, JACCARD = 5, 0.7
+#: A pair at JACCARD shares so many shingles of the prefixes, or all that the smaller bound asks for.
+SHARED = 4
+SEQ_LEN, BUCKET = 2048, 1024
+
+#: SPDX id, class, pattern that Java and RE2 read alike.
+LICENSES = (
+    ("Apache-2.0", "permissive", r"(?i)\bapache licen[sc]e,? version 2\.0"),
+    ("MIT", "permissive", r"(?i)\bmit licen[sc]e\b"),
+    ("GPL-3.0", "copyleft", r"(?i)\bgnu general public licen[sc]e,? version 3\b"),
+    ("CC-BY-NC-4.0", "noncommercial", r"(?i)\bcc[ -]by-nc[ -]4\.0"),
+    ("all-rights-reserved", "proprietary", r"(?i)\ball rights reserved\b"),
+)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# op1
+
+
+def words(text: Column) -> Column:
+    return F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
+
+
+def lexicon(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Hashes of the words that mark toxic documents, learned from all labels."""
+    hashed = docs.select("doc_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hs"))
+    n = hashed.join(labels.select("doc_id", "toxic").hint("merge"), "doc_id").select(F.explode("hs").alias("h"), "toxic").groupBy("h").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
+    p, z2 = F.col("a") / F.col("n"), 1.96**2
+    low = (p + z2 / (2 * F.col("n")) - 1.96 * F.sqrt(p * (1 - p) / F.col("n") + z2 / (4 * F.col("n") * F.col("n")))) / (1 + z2 / F.col("n"))
+    return n.filter((F.col("a") > 0) & (low >= PRECISION)).select("h")
+
+
+def with_terms(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs with toxic_terms: their words that are in the lexicon. The lexicon is one row, so the texts aren't shuffled."""
+    lex = lexicon(docs, labels).agg(F.collect_list("h").alias("lex"))
+    found = F.array_intersect(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)), F.col("lex"))
+    terms = F.when(F.size("found") > 0, F.filter(words(F.col("text")), lambda w: F.array_contains("found", F.xxhash64(w)))).otherwise(F.array().cast("array<string>"))
+    return docs.crossJoin(F.broadcast(lex)).withColumn("found", found).withColumn("toxic_terms", terms).drop("lex", "found")
+
+
+def toxic_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Toxic by its label, or where there is none by its words."""
+    found = with_terms(docs, labels).select("doc_id", "toxic_terms").join(labels.select("doc_id", "toxic").hint("merge"), "doc_id", "left")
+    return found.filter(F.coalesce(F.col("toxic") == 1, F.size("toxic_terms") > 0)).select("doc_id", "toxic_terms", F.col("toxic").isNotNull().alias("labelled"))
+
+
+# op4
+
+
+def exact_copies(docs: DataFrame) -> DataFrame:
+    """The document with the smallest doc_id for each text, and how many have that text."""
+    return docs.select("doc_id", F.sha2("text", 256).alias("sha")).groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")).select("doc_id", "n_copies")
+
+
+# op6
+
+
+def licenses(docs: DataFrame) -> DataFrame:
+    """A row for each document and license that it names."""
+    each = F.array(*(F.struct(F.lit(i).alias("license"), F.lit(k).alias("class"), F.size(F.regexp_extract_all("text", F.lit(p), 0)).cast("long").alias("mentions")) for i, k, p in LICENSES))
+    return docs.select("doc_id", F.explode(F.filter(each, lambda x: x["mentions"] > 0)).alias("l")).select("doc_id", "l.*")
+
+
+# op8
+
+
+def shingles(text: str, seen: dict[str, int]) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of runs of SHINGLE words; a shorter text is one run."""
+    ws = re.findall(r"\w+", text.lower())
+    if not ws:
+        return np.empty(0, np.uint64)
+    if len(seen) > 500_000:
+        seen.clear()
+    hs = []
+    for w in ws:
+        if (h := seen.get(w)) is None:
+            h = seen[w] = int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        hs.append(h)
+    a = np.array(hs, np.uint64)
+    n, out = max(1, len(a) - SHINGLE + 1), np.uint64(len(a) if len(a) < SHINGLE else 0)
+    out = np.full(n, out, np.uint64)
+    for k in range(min(SHINGLE, len(a))):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + a[k : k + n]
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """Of each document's shingles, ordered rare first, as many as any pair at JACCARD must share SHARED of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        for b in batches:
+            parts = []
+            for i, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
+                s = shingles(text or "", seen)
+                n = len(s)
+                if n:
+                    k = min(n, n - int(np.ceil(JACCARD * n - 1e-9)) + SHARED)
+                    if len(hot):
+                        common = np.isin(s, hot, assume_unique=True)
+                        s = np.concatenate([s[~common], s[common]])
+                    parts.append((s[:k], np.full(k, i, np.int64), np.arange(k, dtype=np.int32), np.full(k, n, np.int32)))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c[0].view(np.int64) if j == 0 else c[0] for j, c in enumerate([(np.concatenate(y),) for y in zip(*parts)]))], ["h", "doc_id", "p", "n"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "h long, doc_id long, p int, n int")
+
+
+def hot_shingles(docs: DataFrame) -> np.ndarray:
+    """Frequent shingles, from a sample. They only decide the order, and with it the cost; any order gives the same pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        for b in batches:
+            for text in b["text"].to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text or "", seen).view(np.int64))], ["h"])
+
+    few = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(64)) == 0).select("text").mapInArrow(run, "h long")
+    rows = few.groupBy("h").count().filter("count >= 4").orderBy(F.desc("count"), "h").limit(50_000).collect()
+    return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
+
+
+def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs within a partition by h that share a shingle early and long enough to reach JACCARD."""
+    got = list(batches)
+    if not got:
+        return
+    h, i, p, n = (np.concatenate([b[c].to_numpy() for b in got]) for c in ("h", "doc_id", "p", "n"))
+    o = np.lexsort((i, n, h))
+    h, i, p, n = h[o], i[o], p[o].astype(np.int64), n[o].astype(np.int64)
+    at, d = np.arange(len(h)), 0
+    while len(at):
+        d += 1
+        at = at[at + d < len(h)]
+        at = at[(h[at] == h[at + d]) & (n[at] >= JACCARD * n[at + d] - 1e-9)]
+        x, y = at, at + d
+        most = SHARED + np.minimum(n[x] - p[x] - 1, n[y] - p[y] - 1)
+        ok = (most >= JACCARD / (1 + JACCARD) * (n[x] + n[y]) - 1e-6) & (i[x] != i[y])
+        x, y = x[ok], y[ok]
+        if len(x):
+            need = np.minimum(SHARED, np.ceil(JACCARD * n[y] - 1e-9).astype(np.int64))
+            pairs, at0, count = np.unique(np.stack([np.minimum(i[x], i[y]), np.maximum(i[x], i[y])]), axis=1, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(count.astype(np.int32)), pa.array(need[at0].astype(np.int32))], ["a", "b", "shared", "need"])
+
+
+def verified(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+    """The exact Jaccard similarity of a block's pairs; each text is cut into shingles once."""
+    seen: dict[str, int] = {}
+    of = {i: shingles(t or "", seen) for i, t in zip(texts["doc_id"].to_pylist(), texts["text"].to_pylist())}
+    out = []
+    for x, y in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
+        s, t = of[x], of[y]
+        both = len(s) + len(t) - len(np.unique(np.concatenate([s, t])))
+        if (j := both / (len(s) + len(t) - both)) >= JACCARD - 1e-9:
+            out.append((x, y, j))
+    a, b, j = zip(*out) if out else ((), (), ())
+    return pa.table({"doc_a": pa.array(a, pa.int64()), "doc_b": pa.array(b, pa.int64()), "jaccard": pa.array(j, pa.float64())})
+
+
+def near_pairs(docs: DataFrame) -> DataFrame:
+    """All pairs of documents whose word 5-grams have a Jaccard similarity of JACCARD or more: exact, by prefix filter.
+
+    Pairs are verified in blocks, to which each text goes once, however many pairs it is in there.
+    """
+    found = prefixes(docs, hot_shingles(docs)).repartition("h").mapInArrow(candidates, "a long, b long, shared int, need int")
+    pairs = found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).filter("shared >= need")
+    blocks = max(1, round((2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))) ** 0.5))
+    pairs = pairs.select("a", "b", (F.pmod(F.hash("a"), F.lit(blocks)) * blocks + F.pmod(F.hash("b"), F.lit(blocks))).alias("block"))
+    where = pairs.select(F.col("block").alias("of_block"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = where.hint("merge").join(docs.select("doc_id", "text"), "doc_id")
+    return pairs.groupBy("block").cogroup(texts.groupBy("of_block")).applyInArrow(verified, "doc_a long, doc_b long, jaccard double")
+
+
+# op9
+
+
+def canonical_urls(pages: DataFrame) -> DataFrame:
+    """Pages by canonical URL: no scheme, www. or m., default port, fragment, tracking parameter, .html or closing slash; parameters sorted."""
+    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), r":(80|443)$", ""), r"^(www|m)\.", "")
+    path = F.regexp_replace(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), r"(/|/index\.html?|\.html?)$", "")
+    kept = F.array_sort(F.filter(F.split(F.regexp_extract("url", r"\?([^#]*)", 1), "&"), lambda x: (x != "") & ~x.rlike(r"^(utm_[a-z]+|ref|fbclid|gclid)(=|$)")))
+    query = F.array_join(kept, "&")
+    url = F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
+    return pages.select(url.alias("canonical_url"), "page_id").groupBy("canonical_url").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n_pages"))
+
+
+# op10
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The texts in the order of doc_id as one stream of words with the space around them, cut every SEQ_LEN words: a row for each piece, no word lost."""
+    toks = docs.select("doc_id", F.regexp_extract_all("text", F.lit(r"\s*\S+\s*"), 0).alias("tk")).filter(F.size("tk") > 0)
+    key = F.floor(F.col("doc_id") / BUCKET)
+    sizes = docs.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"\s*\S+\s*"), 0)).cast("long").alias("n")).filter("n > 0").withColumn("k", key)
+    first = sizes.groupBy("k").agg(F.sum("n").alias("n")).select("k", (F.sum("n").over(Window.orderBy("k")) - F.col("n")).alias("first"))
+    own = Window.partitionBy("k").orderBy("doc_id")
+    at = toks.withColumn("k", key).withColumn("n", F.size("tk").cast("long")).withColumn("before", F.sum("n").over(own) - F.col("n")).join(F.broadcast(first), "k").withColumn("start", F.col("first") + F.col("before"))
+    seq = at.withColumn("seq_id", F.explode(F.sequence(F.floor(F.col("start") / SEQ_LEN), F.floor((F.col("start") + F.col("n") - 1) / SEQ_LEN))))
+    low, high = F.greatest(F.col("start"), F.col("seq_id") * SEQ_LEN), F.least(F.col("start") + F.col("n"), (F.col("seq_id") + 1) * SEQ_LEN)
+    return seq.select("seq_id", (low - F.col("seq_id") * SEQ_LEN).alias("at"), "doc_id", (low - F.col("start")).alias("doc_at"), (high - low).alias("n_words"), F.array_join(F.slice("tk", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")), "").alias("text"))

@@ -1,0 +1,72 @@
+import itertools
+import re
+from collections import defaultdict
+
+import duckdb
+import pytest
+from pyspark.sql import SparkSession
+
+import __spark_entry__ as entry
+import corpus_ops as ops
+import corpus_pipeline
+
+SMALL, SF = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="session")
+def spark():
+    s = SparkSession.builder.master("local[4]").config("spark.sql.session.timeZone", "UTC").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").getOrCreate()
+    yield s
+    s.stop()
+
+
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+def test_oracle(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    got = entry.queries()[name](spark, SF)
+    want = con.execute(entry.oracle_sql()[name])
+    assert got.columns == [c[0] for c in want.description]
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_near_pairs_are_all_pairs(spark):
+    docs = {r["doc_id"]: set(ops.shingles(r["text"], {}).tolist()) for r in ops.table(spark, SMALL, "documents").collect()}
+    of = lambda a, b: len(docs[a] & docs[b]) / max(1, len(docs[a] | docs[b]))
+    want = {(a, b): of(a, b) for a, b in itertools.combinations(sorted(docs), 2) if of(a, b) >= ops.JACCARD}
+    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in entry.entry(spark).collect()}
+    assert want and got == pytest.approx(want)
+
+
+def test_near_pairs_of_short_and_changed_texts(spark):
+    long = " ".join(f"w{i}" for i in range(100))
+    docs = [(1, long), (2, long + " end"), (3, "w200 " * 3 + long[:150]), (4, "one two"), (5, "One, two!"), (6, "two one"), (7, "")]
+    got = ops.near_pairs(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r["doc_a"], r["doc_b"]) for r in got} == {(1, 2), (4, 5)}
+
+
+def test_toxic_words_are_learned_from_labels(spark):
+    docs = [(i, f"Some good text {i}") for i in range(40)] + [(i, f"Some grubly!! text {i}") for i in range(40, 80)] + [(90, "what a GRUBLY thing"), (91, "what a thing"), (92, "grubly by name")]
+    labels = [(i, 1, int(i >= 40)) for i in range(80)] + [(92, 1, 0)]
+    got = ops.toxic_documents(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert {r["doc_id"] for r in got} == {*range(40, 80), 90}
+    assert {tuple(r["toxic_terms"]) for r in got} == {("grubly",)}
+
+
+def test_urls(spark):
+    urls = ["http://www.A.example.com/x/?utm_source=feed", "https://a.example.com:443/x.html#top", "https://m.a.example.com/x?ref=x", "https://a.example.com/x?b=2&a=1", "https://blog.a.example.com/x"]
+    got = ops.canonical_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert {(r["canonical_url"], r["page_id"], r["n_pages"]) for r in got} == {("a.example.com/x", 0, 3), ("a.example.com/x?a=1&b=2", 3, 1), ("blog.a.example.com/x", 4, 1)}
+
+
+def test_pipeline_keeps_every_word(spark, tmp_path):
+    df = ops.table(spark, SMALL, "documents")
+    for k, (_, step) in enumerate(corpus_pipeline.STAGES):
+        before = df
+        step(spark, df, SMALL).write.parquet(f"{tmp_path}/{k}")
+        df = spark.read.parquet(f"{tmp_path}/{k}")
+    pieces = defaultdict(list)
+    for r in df.collect():
+        pieces[r["doc_id"]].append((r["doc_at"], r["text"]))
+        assert r["n_words"] == len(re.findall(r"\S+", r["text"])) and 0 <= r["at"] < ops.SEQ_LEN
+    assert {r["doc_id"]: r["text"] for r in before.collect()} == {i: "".join(t for _, t in sorted(p)) for i, p in pieces.items()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard
+from . import jaccard, packing, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,7 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": lambda s, d: toxicity.toxic_documents(table(s, d, "documents"), table(s, d, "labels")),
+    "op4_importance_resampling": lambda s, d: quality.resampled(table(s, d, "documents"), table(s, d, "labels")),
     "op8_jaccard_join": lambda s, d: jaccard.jaccard_join(table(s, d, "documents")),
+    "op10_packing": lambda s, d: packing.packed(table(s, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_importance_resampling": quality.SQL}

@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeglass.llm import common, jaccard
+from lakeglass.llm import common, jaccard, packing, quality, toxicity
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the induced lexicon finds toxic go."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling doesn't draw go."""
+    return quality.sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,9 +22,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return jaccard.one_of_each(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All texts that are left, packed into bins: see packing.packed for the columns."""
+    return packing.packed(docs)
+
+
+STAGES = [("toxicity", toxic), ("quality", good_quality), ("near_duplicates", near_duplicates), ("packing", bins)]
 
-#: No stage can be said in SQL.
+#: SQL can't express the random walk, the connected groups and the packing; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,19 +43,44 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-class Hashes(dict):
-    """64-bit hash by word. Memory is bounded: call trim() between texts."""
-
-    def __missing__(self, word: str) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-    def trim(self, most: int = 500_000) -> None:
-        if len(self) > most:
-            self.clear()
-
-    def array(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+_BYTE = np.zeros(256, bool)
+_BYTE[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_", *range(128, 256)]] = True
+_VALUE = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, 256, dtype=np.uint64)
+_STEP, _BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Bytes that are hashed at once.
+CHUNK = 1 << 20
+
+
+def _powers(n: int, base: np.uint64, held: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
+    if len(held.get(int(base), ())) < n:
+        p = np.full(max(n, 2 * CHUNK), base)
+        p[0] = 1
+        held[int(base)] = np.cumprod(p)
+    return held[int(base)][:n]
+
+
+def hashed_words(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index of the first text, 64-bit hashes of all words of some texts, places where each text's words end) for portions of the texts.
+
+    A word is a run of ASCII letters, digits, underscores and characters beyond ASCII, in lower case. All words of a
+    portion are hashed at once: a polynomial in their bytes, taken from its running sums.
+    """
+    held, size, first = [], 0, 0
+    for k, t in enumerate([*texts, None]):
+        if t is None or (held and (size > CHUNK or len(held) == 1 << 15)):
+            raw = np.frombuffer(b"\n".join(held) + b"\n", np.uint8) if held else np.empty(0, np.uint8)
+            edge = np.flatnonzero(np.diff(_BYTE[raw].view(np.int8), prepend=0, append=0))
+            start, end = edge[::2], edge[1::2]
+            sums = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum(_VALUE[raw] * _powers(len(raw), _STEP), out=sums[1:])
+            words = mix((sums[end] - sums[start]) * _powers(len(raw), _BACK)[start]) if len(start) else np.empty(0, np.uint64)
+            ends = np.searchsorted(start, np.cumsum([len(x) + 1 for x in held]))
+            if held:
+                yield first, words, ends
+            held, size, first = [], 0, k
+        if t is not None:
+            held.append(x := t.lower().encode("utf-8", "surrogatepass"))
+            size += len(x)
 
 
 def mix(a: np.ndarray) -> np.ndarray:

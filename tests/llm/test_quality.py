@@ -46,14 +46,20 @@ def test_gumbel_draws_in_proportion():
 
 def test_edge_cases(spark):
     docs = [(i, f"good words here {i}", 0, "x") for i in range(20)] + [(i, f"## !! ## %% {i}", 1, "y") for i in range(20, 30)]
-    docs += [(40, None, 2, ""), (41, "", 2, ""), (None, "good words here", 2, ""), (3, "good words here 3", 3, ""), (42, "good words here " * 40_000, 4, "")]
+    docs += [(40, None, 2, ""), (41, "", 2, ""), (None, "good words here", 2, ""), (3, "good words here 3", 3, ""), (42, "filler matter " * 200, 4, "")]
     df = spark.createDataFrame(docs, "doc_id long, text string, key int, bucket string")
-    labels = spark.createDataFrame([(i, int(i < 20), 0) for i in range(30)] + [(42, 1, 0), (None, 1, 0), (24, None, 0)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, int(i < 20), 0) for i in range(30)] + [(None, 1, 0), (24, None, 0)], "doc_id long, quality int, toxic int")
     got = X.sample(df, labels)
     assert got.columns == df.columns
     rows = got.collect()
-    assert {r["doc_id"] for r in rows} >= {*range(20), 42, None} and not {r["doc_id"] for r in rows} & set(range(20, 30))
+    assert {r["doc_id"] for r in rows} >= {*range(20), None} and not {r["doc_id"] for r in rows} & {*range(20, 30), 42}
     assert sorted([r["doc_id"] for r in rows], key=repr) == sorted([r["doc_id"] for r in X.resampled(df, labels).collect()], key=repr)
     assert X.sample(df.limit(0), labels).collect() == [] and X.resampled(df.limit(0), labels).collect() == []
     assert X.sample(df, labels.limit(0)).count() == len(docs)
     assert X.sample(df, labels, k=0).count() == 0
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame([(1, "word other, " * 300_000), (2, "a b c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert X.resampled(df, labels).count() == 1

@@ -178,6 +178,6 @@ SQL = rf"""
     u AS (SELECT page_id, url, host, CASE WHEN host <> '' THEN host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS canonical FROM c),
     e AS (SELECT canonical AS entry FROM u WHERE page_id % {EARLIER} = 0 UNION {" UNION ".join(f"SELECT '{h}'" for h in HOSTS)}),
     l AS (SELECT *, string_split(host, '.') AS p FROM u WHERE canonical IS NOT NULL),
-    k AS (SELECT page_id, url, canonical AS entry, 0 AS at FROM l UNION ALL SELECT page_id, url, array_to_string(p[i:], '.'), i FROM (SELECT *, unnest(range(1, greatest(2, len(p)))) AS i FROM l)),
-    r AS (SELECT page_id, url, entry, row_number() OVER (PARTITION BY page_id ORDER BY at) AS rank FROM k WHERE entry IN (SELECT entry FROM e WHERE entry <> ''))
+    k AS (SELECT page_id, url, canonical AS entry, 0 AS pos FROM l UNION ALL SELECT page_id, url, array_to_string(p[i:], '.'), i FROM (SELECT *, unnest(range(1, greatest(2, len(p)))) AS i FROM l)),
+    r AS (SELECT page_id, url, entry, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM k WHERE entry IN (SELECT entry FROM e WHERE entry <> ''))
     SELECT page_id, url, entry FROM r WHERE rank = 1"""

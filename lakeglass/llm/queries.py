@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, packing, quality, records, topk, toxicity, transport, urls
+from . import bpe, jaccard, licenses, packing, quality, records, topk, toxicity, transport, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,7 @@ QUERIES: dict[str, Query] = {
     "op4_importance_resampling": lambda s, d: quality.resampled(table(s, d, "documents"), table(s, d, "labels")),
     "op5_records": lambda s, d: records.records(table(s, d, "documents")),
     "op6_transport": lambda s, d: transport.units(transport.muxed(table(s, d, "documents"))),
+    "op7_licenses": lambda s, d: licenses.licenses(table(s, d, "documents")),
     "op8_jaccard_join": lambda s, d: jaccard.jaccard_join(table(s, d, "documents")),
     "op9_url_filter": lambda s, d: urls.listed_pages(table(s, d, "pages")),
     "op10_packing": lambda s, d: packing.packed(table(s, d, "documents")),

@@ -59,12 +59,12 @@ def _powers(n: int, base: np.uint64, held: dict[int, np.ndarray] = {}) -> np.nda
     return held[int(base)][:n]
 
 
-def hashed_words(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(index of the first text, 64-bit hashes of all words of some texts, places where each text's words end) for portions of the texts.
+#: A word as hashed_words sees it, in text in lower case.
+HASHED_WORD = re.compile("[0-9a-z_\u0080-\U0010ffff]+")
 
-    A word is a run of ASCII letters, digits, underscores and characters beyond ASCII, in lower case. All words of a
-    portion are hashed at once: a polynomial in their bytes, taken from its running sums.
-    """
+
+def hashed_spans(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """hashed_words, and besides the bytes of the portion and the places where each word begins and ends in them."""
     held, size, first = [], 0, 0
     for k, t in enumerate([*texts, None]):
         if t is None or (held and (size > CHUNK or len(held) == 1 << 15)):
@@ -76,13 +76,23 @@ def hashed_words(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray
             words = mix((sums[end] - sums[start]) * _powers(len(raw), _BACK)[start]) if len(start) else np.empty(0, np.uint64)
             ends = np.searchsorted(start, np.cumsum([len(x) + 1 for x in held]))
             if held:
-                yield first, words, ends
+                yield first, words, ends, raw, start, end
             held, size, first = [], 0, k
         if t is not None:
             held.append(x := t.lower().encode("utf-8", "surrogatepass"))
             size += len(x)
 
 
+def hashed_words(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index of the first text, 64-bit hashes of all words of some texts, places where each text's words end) for portions of the texts.
+
+    A word is a run of ASCII letters, digits, underscores and characters beyond ASCII, in lower case. All words of a
+    portion are hashed at once: a polynomial in their bytes, taken from its running sums.
+    """
+    for first, words, ends, *_ in hashed_spans(texts):
+        yield first, words, ends
+
+
 def mix(a: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads their bits (the finaliser of splitmix64)."""
     a = (a ^ (a >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

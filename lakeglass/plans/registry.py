@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import importlib
 from collections.abc import Callable
+from functools import wraps
 
-MODULES = ("retrieval",)
+from pyspark.sql import functions as F
+
+MODULES = ("retrieval", "documents")
 
 
 def _merged(attribute: str) -> dict:
@@ -18,8 +21,19 @@ def _merged(attribute: str) -> dict:
     return found
 
 
+def _wide(query: Callable) -> Callable:
+    """The query with its whole numbers as long, as SQL counts them."""
+
+    @wraps(query)
+    def run(spark, sf_dir):
+        df = query(spark, sf_dir)
+        return df.select(*(F.col(f"`{c}`").cast("long").alias(c) if t in ("int", "smallint", "tinyint") else F.col(f"`{c}`") for c, t in df.dtypes))
+
+    return run
+
+
 def queries() -> dict[str, Callable]:
-    return _merged("QUERIES")
+    return {k: _wide(q) for k, q in _merged("QUERIES").items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,9 +1,10 @@
 """Operator 2: byte-level BPE by a global shuffle of distinct words, and back by the token-byte table.
 
-1. Documents are dealt to blocks by a hash; a block's texts are cut into pre-tokens (``PATTERN``), in order of position.
+1. Documents are dealt to blocks by a hash, their texts compressed; a block's texts are cut into pre-tokens
+   (``PATTERN``), in order of position.
 2. A block asks once for each of its distinct pre-tokens. Requests meet by pre-token, where each distinct one is
-   encoded once for the whole corpus, and the ids go back to each block that asked: a frequent word has one row a block, not
-   one a place, so the join back isn't skewed.
+   encoded once for the whole corpus, and the ids go back to each block that asked: a frequent word is sent once a block, not
+   once a place, so the join back isn't skewed. Requests and answers are sorted lists, packed by block and part.
 3. In the block, the ids take the pre-tokens' places: positions are those of the block's own texts.
 4. Decoding joins ids with the token-byte table (one row a token of the vocabulary, whose size doesn't depend on the
    data) and puts the bytes together by position.
@@ -17,16 +18,20 @@ and null doc_ids are rows of their own. Texts of special tokens are ordinary tex
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import tiktoken
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pack, unpack
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text, about, of a block.
@@ -48,66 +53,127 @@ def _pattern(held: list = []):  # noqa: B006
     return held[0]
 
 
-def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """(block, doc_id, text), partitioned by block."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)))
-    return rows, blocks
+def encoder(ranks: dict[bytes, int]) -> tiktoken.Encoding:
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def asked(t: pa.Table) -> pa.Table:
-    """The distinct pre-tokens of a block."""
-    words: set[str] = set()
-    for text in t["text"].to_pylist():
-        if text:
-            words.update(pre_tokens(text))
-    words_ = sorted(words)
-    return pa.table({"word": pa.array(words_, pa.string()), "block": pa.array(np.full(len(words_), t["block"][0].as_py()), pa.int64())})
+def part_of(word: str, parts: int) -> int:
+    return xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) % parts
 
 
-def encoder(ranks: dict[bytes, int]) -> tiktoken.Encoding:
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+def by_part(words: Iterable[str], parts: int) -> list[list[str]]:
+    """Distinct words by the part that they meet in, sorted."""
+    out: list[list[str]] = [[] for _ in range(parts)]
+    for w in words:
+        out[part_of(w, parts)].append(w)
+    for ws in out:
+        ws.sort()
+    return out
+
+
+def texts_of(blobs: pa.ChunkedArray) -> Iterator[tuple[list[int | None], list[str | None]]]:
+    for blob in blobs:
+        for b in pa.ipc.open_stream(blob.as_buffer()):
+            yield b["doc_id"].to_pylist(), b["text"].to_pylist()
 
 
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, text, ids)."""
+    """(doc_id, ids)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sent = docs.sparkSession.sparkContext.broadcast(ranks_of(vocabulary))
+    blocks = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
+    parts = max(1, blocks // 2)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, last, ids = encoder(sent.value), None, []
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts of a batch by block, compressed."""
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
         for b in batches:
-            out = []
-            for w in b["word"].to_pylist():
-                if w != last:
-                    last, ids = w, enc._encode_single_piece(w.encode("utf-8", "surrogatepass"))
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b["block"], b["word"], pa.array(out, pa.list_(pa.int32()))], ["of_block", "word", "word_ids"])
-
-    def placed(texts: pa.Table, table: pa.Table) -> pa.Table:
-        number = {w: k for k, w in enumerate(table["word"].to_pylist())}
-        lists = table["word_ids"].combine_chunks()
-        flat, start = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-        if len(start):
-            start = start - start[0]
-        ids, sizes = [], []
-        for text in texts["text"].to_pylist():
-            ws = pre_tokens(text) if text else []
-            at = np.fromiter(map(number.__getitem__, ws), np.int64, len(ws))
-            n = start[at + 1] - start[at] if len(ws) else np.empty(0, np.int64)
-            total = int(n.sum())
-            ids.append(flat[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(total)] if total else np.empty(0, np.int32))
-            sizes.append(total)
-        nulls = texts["text"].is_null().to_numpy()
-        offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32), mask=np.append(nulls, False))
-        joined = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32()))
-        return pa.table({"doc_id": texts["doc_id"], "text": texts["text"], "ids": joined})
-
-    rows, blocks = blocked(docs, block_bytes)
-    dealt = rows.repartition("block")
-    words = dealt.groupBy("block").applyInArrow(asked, "word string, block long")
-    table = words.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "of_block long, word string, word_ids array<int>")
-    return dealt.groupBy("block").cogroup(table.groupBy("of_block")).applyInArrow(placed, "doc_id long, text string, ids array<int>")
+            block = b["block"].to_numpy()
+            for k in np.unique(block):
+                sink = pa.BufferOutputStream()
+                some = b.select(["doc_id", "text"]).take(pa.array(np.flatnonzero(block == k)))
+                with pa.ipc.new_stream(sink, some.schema, options=options) as out:
+                    out.write_batch(some)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "blob"])
+
+    def ask(t: pa.Table) -> pa.Table:
+        """A block's distinct pre-tokens, once each, by the part where they meet those of other blocks."""
+        words: set[str] = set()
+        for _, texts in texts_of(t["blob"]):
+            for text in texts:
+                if text:
+                    words.update(pre_tokens(text))
+        lists = by_part(words, parts)
+        packed = [(p, compressed(ws)) for p, ws in enumerate(lists) if ws]
+        n = len(packed)
+        return pa.table({"part": pa.array([p for p, _ in packed], pa.int64()), "of_block": pa.array([t["block"][0].as_py()] * n, pa.int64()), "words": pa.array([x for _, x in packed], pa.binary())})
+
+    def encode(t: pa.Table) -> pa.Table:
+        """Each distinct pre-token of a part is encoded once; every block gets the ids in the order of its request."""
+        enc, known = encoder(sent.value), {}
+        answers = []
+        for blob in t["words"].to_pylist():
+            counts, flat = [], []
+            for w in opened(blob):
+                if (ids := known.get(w)) is None:
+                    ids = known[w] = tuple(enc._encode_single_piece(w.encode("utf-8", "surrogatepass")))
+                counts.append(len(ids))
+                flat.extend(ids)
+            answers.append((len(counts), pack(np.array(counts, np.uint32)), len(flat), pack(np.array(flat, np.uint32))))
+        columns = [pa.array(c, k) for c, k in zip(zip(*answers), (pa.int64(), pa.binary(), pa.int64(), pa.binary()))]
+        return pa.table([t["of_block"], t["part"], *columns], ["of_block", "part", "n", "counts", "total", "ids"])
+
+    def place(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        """Ids in the places of the pre-tokens."""
+        number: dict[str, int] = {}
+        ids, codes = [], []
+        for some, ts in texts_of(texts["blob"]):
+            ids += some
+            for text in ts:
+                codes.append(None if text is None else np.array([number.setdefault(w, len(number)) for w in pre_tokens(text)], np.int32))
+        start, size, flat, at = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64), [], 0
+        lists = by_part(number, parts)
+        for r in answers.to_pylist():
+            own = np.array([number[w] for w in lists[r["part"]]], np.int64)
+            n = unpack(r["counts"], r["n"], np.uint32)[0].astype(np.int64)
+            start[own], size[own] = at + np.cumsum(n) - n, n
+            flat.append(unpack(r["ids"], r["total"], np.uint32)[0].astype(np.int32))
+            at += r["total"]
+        del lists
+        number.clear()
+        flat_ = np.concatenate(flat) if flat else np.empty(0, np.int32)
+        out, ends, total = [], [0], 0
+        for c in codes:
+            if c is not None and len(c):
+                n = size[c]
+                out.append(flat_[np.repeat(start[c] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+                total += len(out[-1])
+            ends.append(total)
+        nulls = np.array([c is None for c in codes] + [False])
+        values = pa.array(np.concatenate(out) if out else np.empty(0, np.int32), pa.int32())
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32), mask=nulls), values)})
+
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks))).mapInArrow(deal, "block long, blob binary")
+    asked = dealt.groupBy("block").applyInArrow(ask, "part long, of_block long, words binary")
+    answered = asked.groupBy("part").applyInArrow(encode, "of_block long, part long, n long, counts binary, total long, ids binary")
+    return dealt.groupBy("block").cogroup(answered.groupBy("of_block")).applyInArrow(place, "doc_id long, ids array<int>")
+
+
+def compressed(words: list[str]) -> bytes:
+    """Words as lengths and letters."""
+    raw = [w.encode("utf-8", "surrogatepass") for w in words]
+    body = len(raw).to_bytes(8, "little") + np.array([len(x) for x in raw], "<u4").tobytes() + b"".join(raw)
+    return zstandard.ZstdCompressor(level=3).compress(body)
+
+
+def opened(blob: bytes) -> Iterator[str]:
+    body = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(body[:8], "little")
+    ends = (8 + 4 * n + np.cumsum(np.frombuffer(body, "<u4", n, 8).astype(np.int64))).tolist()
+    at = 8 + 4 * n
+    for end in ends:
+        yield body[at:end].decode("utf-8", "surrogatepass")
+        at = end
 
 
 def decoded(df: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -134,5 +200,4 @@ def decoded(df: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids, n_tokens, decoded) of all documents."""
-    ids = encoded(docs, vocabulary).select("doc_id", "ids")
-    return decoded(ids, vocabulary).select("doc_id", "ids", F.when(F.col("ids").isNotNull(), F.size("ids")).alias("n_tokens"), "decoded")
+    return decoded(encoded(docs, vocabulary), vocabulary).select("doc_id", "ids", F.when(F.col("ids").isNotNull(), F.size("ids")).alias("n_tokens"), "decoded")

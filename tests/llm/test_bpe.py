@@ -22,11 +22,10 @@ def test_any_text_comes_back(spark):
     docs += [(900, None), (901, ""), (None, "no id"), (902, "same"), (902, "same"), (903, "word " * 200_000), (904, "x" * 20_000), (905, "   "), (906, "".join(chr(c) for c in range(1, 0x2FF)))]
     df = spark.createDataFrame([(*d, [1], "b", 3) for d in docs], "doc_id long, text string, ids array<int>, block string, n_tokens int")
     got = B.decoded(B.encoded(df, block_bytes=4_000)).collect()
-    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted(docs, key=repr)
+    assert sorted(((r["doc_id"], r["decoded"]) for r in got), key=repr) == sorted(docs, key=repr)
     enc = B.encoder(B.ranks_of(B.VOCABULARY))
     for row in got:
-        assert row["decoded"] == row["text"]
-        assert row["ids"] == (None if row["text"] is None else enc.encode_ordinary(row["text"]))
+        assert row["ids"] == (None if row["decoded"] is None else enc.encode_ordinary(row["decoded"]))
     assert B.round_trip(df.limit(0)).collect() == []
     assert B.round_trip(df).columns == ["doc_id", "ids", "n_tokens", "decoded"]
 

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
@@ -93,6 +94,13 @@ def hashed_words(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray
         yield first, words, ends
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in portions of so many rows, so that no more texts than these are Python strings at once."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def mix(a: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads their bits (the finaliser of splitmix64)."""
     a = (a ^ (a >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

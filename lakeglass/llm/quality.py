@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 from .labels import LABELLED, sampled
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -69,7 +69,7 @@ def weights(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> tuple[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, good, raw, rows = Words(), np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64), 0
         labelled = 0
-        for b in batches:
+        for b in small(batches):
             for label, text in zip(sent.value.of(b["doc_id"].to_pylist()), b["text"].to_pylist()):
                 c = np.bincount(features(text, seen), minlength=BUCKETS + 1)
                 raw += c
@@ -103,7 +103,7 @@ def scored(docs: DataFrame, w: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Words()
-        for b in batches:
+        for b in small(batches):
             ids = b["doc_id"].to_pylist()
             s = np.array([int(sent.value[features(t, seen)].sum()) for t in b["text"].to_pylist()], np.int64)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(s), pa.array(s + np.array([gumbel(i) for i in ids], np.int64))], ["doc_id", "log_weight", "key"])
@@ -162,7 +162,7 @@ def sample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Words()
-        for b in batches:
+        for b in small(batches):
             ids = [None if i is None else int(i) for i in b["doc_id"].to_pylist()]
             yield b.filter(pa.array([kept(i, int(sent.value[features(t, seen)].sum()) + gumbel(i)) for i, t in zip(ids, b["text"].to_pylist())], pa.bool_()))
 

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pack, unpack
+from .common import pack, small, unpack
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -77,8 +77,8 @@ def texts_of(blobs: pa.ChunkedArray) -> Iterator[tuple[list[int | None], list[st
             yield b["doc_id"].to_pylist(), b["text"].to_pylist()
 
 
-def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, ids)."""
+def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, block_bytes: int = BLOCK_BYTES, decode: bool = False) -> DataFrame:
+    """(doc_id, ids); decode: and decoded, as decoded() makes it, in the task that has the ids, so that no second Python process is needed."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sent = docs.sparkSession.sparkContext.broadcast(ranks_of(vocabulary))
     blocks = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
@@ -151,12 +151,17 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, block_bytes: int = BL
             ends.append(total)
         nulls = np.array([c is None for c in codes] + [False])
         values = pa.array(np.concatenate(out) if out else np.empty(0, np.int32), pa.int32())
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32), mask=nulls), values)})
+        out.clear()
+        made = pa.table({"doc_id": pa.array(ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32), mask=nulls), values)})
+        if decode:
+            tokens = pa.array(token_bytes(sent.value), pa.binary())
+            made = made.append_column("decoded", pa.chunked_array([texts_by(tokens, c["ids"]) for c in small(made.to_batches())], pa.string()))
+        return made
 
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks))).mapInArrow(deal, "block long, blob binary")
     asked = dealt.groupBy("block").applyInArrow(ask, "part long, of_block long, words binary")
     answered = asked.groupBy("part").applyInArrow(encode, "of_block long, part long, n long, counts binary, total long, ids binary")
-    return dealt.groupBy("block").cogroup(answered.groupBy("of_block")).applyInArrow(place, "doc_id long, ids array<int>")
+    return dealt.groupBy("block").cogroup(answered.groupBy("of_block")).applyInArrow(place, "doc_id long, ids array<int>" + ", decoded string" * decode)
 
 
 def compressed(words: list[str]) -> bytes:
@@ -176,28 +181,35 @@ def opened(blob: bytes) -> Iterator[str]:
         at = end
 
 
-def decoded(df: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """df with the column decoded: the text of the column ids; bytes that aren't UTF-8 become U+FFFD."""
-    ranks = ranks_of(vocabulary)
+def token_bytes(ranks: dict[bytes, int]) -> list[bytes | None]:
+    """The token-byte table: bytes by id."""
     table: list[bytes | None] = [None] * (max(ranks.values()) + 1)
     for b, r in ranks.items():
         table[r] = b
-    sent = df.sparkSession.sparkContext.broadcast(table)
+    return table
+
+
+def texts_by(tokens: pa.Array, lists: pa.ListArray) -> pa.Array:
+    """Ids joined with the token-byte table, their bytes put together by position."""
+    parts = pc.take(tokens, lists.flatten())
+    offsets = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))).astype(np.int32)
+    whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), parts), b"")
+    return pa.array([None if n else x.decode("utf-8", "replace") for x, n in zip(whole.to_pylist(), lists.is_null().to_pylist())], pa.string())
+
+
+def decoded(df: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """df with the column decoded: the text of the column ids; bytes that aren't UTF-8 become U+FFFD."""
+    sent = df.sparkSession.sparkContext.broadcast(token_bytes(ranks_of(vocabulary)))
     schema = df.drop("decoded").schema.add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = pa.array(sent.value, pa.binary())
-        for b in batches:
-            lists = b["ids"]
-            parts = pc.take(tokens, lists.flatten())
-            offsets = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))).astype(np.int32)
-            whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), parts), b"")
-            text = [None if n else x.decode("utf-8", "replace") for x, n in zip(whole.to_pylist(), lists.is_null().to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in schema.names[:-1]), pa.array(text, pa.string())], schema.names)
+        for b in small(batches):
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in schema.names[:-1]), texts_by(tokens, b["ids"])], schema.names)
 
     return df.drop("decoded").mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids, n_tokens, decoded) of all documents."""
-    return decoded(encoded(docs, vocabulary), vocabulary).select("doc_id", "ids", F.when(F.col("ids").isNotNull(), F.size("ids")).alias("n_tokens"), "decoded")
+    return encoded(docs, vocabulary, decode=True).select("doc_id", "ids", F.when(F.col("ids").isNotNull(), F.size("ids")).alias("n_tokens"), "decoded")

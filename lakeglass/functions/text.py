@@ -30,7 +30,7 @@ def squeeze(text: Column) -> Column:
 
 
 def _entities(text: Column) -> Column:
-    for name, mark in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("nbsp", " "), ("#160", " "), ("copy", "©"), ("middot", "·"), ("mdash", "—"), ("ndash", "–"), ("rsquo", "’"), ("lsquo", "‘"), ("rdquo", "”"), ("ldquo", "“"), ("amp", "&")):
+    for name, mark in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("nbsp", "\u00a0"), ("#160", "\u00a0"), ("copy", "©"), ("middot", "·"), ("mdash", "—"), ("ndash", "–"), ("rsquo", "’"), ("lsquo", "‘"), ("rdquo", "”"), ("ldquo", "“"), ("amp", "&")):
         text = F.replace(text, F.lit(f"&{name};"), F.lit(mark))
     return text
 
@@ -83,5 +83,5 @@ def first_sentence(section: str | Column, max_len: int = 80) -> Column:
 
 def normalize_for_search(text: str | Column) -> Column:
     """Straight quotes, plain spaces, one space for any white space, lower case, trimmed."""
-    plain = F.translate(col(text), "‘’“” ", "''\"\" ")
+    plain = F.translate(col(text), "\u2018\u2019\u201c\u201d\u00a0", "''\"\" ")
     return F.trim(F.lower(F.regexp_replace(plain, r"(?U)\s++", " ")))

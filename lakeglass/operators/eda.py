@@ -41,7 +41,7 @@ def corpus_scalars(df: DataFrame, company: str, year: str, chunks: str, chars: s
 
 def pivot_counts(df: DataFrame, row: str, column: str, values: tuple[str, ...], total: str | None = None) -> DataFrame:
     """Counts by row and column, 0 where there is none; total: the name of a column with the row's sum."""
-    out = df.groupBy(row).pivot(column, list(values)).agg(F.count("*")).na.fill(0)
+    out = df.groupBy(row).pivot(column, list(values)).agg(F.count(F.lit(1))).na.fill(0)
     return out.withColumn(total, sum((F.col(f"`{v}`") for v in values), F.lit(0))) if total else out
 
 

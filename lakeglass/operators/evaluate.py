@@ -147,7 +147,8 @@ ANSWER = "answer string, citations array<string>, abstain boolean, abstention_re
 def prompts(questions: DataFrame, passages: DataFrame, template: str = QA_TEMPLATE) -> DataFrame:
     """(query_id, prompt, doc_ids): passages(query_id, rank, doc_id, text) named P1, P2, … in the order of rank."""
     ps = passages.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "text"))).alias("ps"))
-    both = questions.select("query_id", "text").join(ps, "query_id", "left").withColumn("ps", F.coalesce("ps", F.array().cast(ps.schema["ps"].dataType)))
+    kind = ps.schema["ps"].dataType.simpleString()
+    both = questions.select("query_id", "text").join(ps, "query_id", "left").withColumn("ps", F.coalesce(F.col("ps").cast(kind), F.array().cast(kind)))
     listed = F.array_join(F.transform("ps", lambda p, i: F.concat(F.lit("[P"), (i + 1).cast("string"), F.lit("] "), p["text"])), "\n")
     head, rest = template.split("{passages}")
     middle, tail = rest.split("{question}")

@@ -16,9 +16,9 @@ def judged(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     marked = ranked.select("query_id", "rank", "doc_id").join(g, ["query_id", "doc_id"], "left")
     lists = marked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", F.coalesce("hit", F.lit(False)).alias("hit")))).alias("places"))
     sizes = g.groupBy("query_id").agg(F.count("*").alias("n_gold"))
-    empty = F.array().cast("array<struct<rank:bigint,doc_id:bigint,hit:boolean>>")
+    kind = lists.schema["places"].dataType.simpleString()
     out = lists.join(sizes, "query_id", "full")
-    return out.select("query_id", F.coalesce("n_gold", F.lit(0)).alias("n_gold"), F.coalesce("places", empty.cast(lists.schema["places"].dataType)).alias("places"))
+    return out.select("query_id", F.coalesce("n_gold", F.lit(0)).alias("n_gold"), F.coalesce(F.col("places").cast(kind), F.array().cast(kind)).alias("places"))
 
 
 def _top(k: int | Column) -> Column:

@@ -14,7 +14,7 @@ from lakeglass.operators.evaluate import DIFFICULTIES, QUESTION_TYPES
 
 TOP_FIELDS = ("difficulty", "gold_answer", "gold_evidence", "qa_id", "question", "question_type")
 EVIDENCE_FIELDS = ("chunk_id", "filing_accession", "ticker")
-PAIR = "qa_id string, question_type string, difficulty string, gold_evidence string"
+PAIR = "qa_id string, question_type string, difficulty string, gold_evidence string, _corrupt_record string"
 
 
 def _absent(keys: Column, wanted: tuple[str, ...]) -> Column:
@@ -30,6 +30,8 @@ def chunk_index(chunks: DataFrame) -> DataFrame:
 def violations(lines: DataFrame, chunks: DataFrame | None) -> DataFrame:
     """(line, tag, check, severity, detail). lines: (line, value) of JSON; chunks: (chunk_id, ticker, accession, text), None for the schema alone."""
     parsed = lines.select("line", "value", F.json_object_keys("value").alias("keys"), F.from_json("value", PAIR, {"mode": "PERMISSIVE"}).alias("p"))
+    # The list of keys is laxer than a parse: a record that doesn't parse has none.
+    parsed = parsed.withColumn("keys", F.when(F.col("p._corrupt_record").isNull(), F.col("keys")))
     none = F.lit(None).cast("string")
 
     def found(df: DataFrame, tag: Column, check: str, detail: Column = none, severity: str = "error") -> DataFrame:
@@ -76,6 +78,7 @@ def violations(lines: DataFrame, chunks: DataFrame | None) -> DataFrame:
 
 def summary(lines: DataFrame, found: DataFrame) -> DataFrame:
     """(n_pairs, errors, warnings, exit_status): pairs are the lines that are JSON; the status is 1 if there is an error."""
-    pairs = lines.agg(F.count_if(F.json_object_keys("value").isNotNull()).alias("n_pairs"))
+    whole = F.json_object_keys("value").isNotNull() & F.from_json("value", PAIR, {"mode": "PERMISSIVE"})["_corrupt_record"].isNull()
+    pairs = lines.agg(F.count_if(whole).alias("n_pairs"))
     counts = found.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
     return pairs.crossJoin(counts).withColumn("exit_status", F.when(F.col("errors") > 0, 1).otherwise(0))

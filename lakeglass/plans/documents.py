@@ -156,7 +156,7 @@ def section_sql(accession: bool = True, where: str = "") -> str:
 CHUNKS = f"""{GATED}, ch AS ({section_sql(where="WHERE method_used <> 'fixed_size'")} UNION ALL {fixed_sql(FIXED.replace("FROM f)", "FROM r WHERE method_used = 'fixed_size')"))})"""
 STATS = f"""{CHUNKS}, cn AS (SELECT accession, count(*) AS chunks_produced FROM ch GROUP BY accession),
     st AS (SELECT ticker, filing_type, accession, total AS total_chars, n AS sections_detected, reason = 'all signals pass' AS quality_check_passed, reason AS quality_check_reason, method_used, coalesce(chunks_produced, 0) AS chunks_produced,
-        CASE WHEN n = 0 THEN 0 ELSE round(cov, 4) END::DOUBLE AS captured_ratio, CASE WHEN n = 0 THEN '' ELSE big END AS largest_section_item, CASE WHEN n = 0 THEN 0 ELSE round(ratio, 4) END::DOUBLE AS largest_section_ratio, seven0 AS item_7_chars, '' AS error
+        CASE WHEN n = 0 THEN 0 ELSE round(cov::DECIMAL(18, 12), 4) END::DOUBLE AS captured_ratio, CASE WHEN n = 0 THEN '' ELSE big END AS largest_section_item, CASE WHEN n = 0 THEN 0 ELSE round(ratio::DECIMAL(18, 12), 4) END::DOUBLE AS largest_section_ratio, seven0 AS item_7_chars, '' AS error
         FROM r LEFT JOIN cn USING (accession))"""
 
 
@@ -209,7 +209,7 @@ ORACLES = {
     "g1_strict_gate": with_sql(GATED, "SELECT doc_id, reason FROM r"),
     "g2_strict_gate_v1": with_sql(GATED, "SELECT doc_id, reason1 AS reason FROM r"),
     "g3_partial_gate": with_sql(GATED, "SELECT doc_id, usable FROM r"),
-    "g4_diagnostics": with_sql(GATED, "SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE round(cov, 4) END::DOUBLE AS captured_ratio, CASE WHEN n = 0 THEN '' ELSE big END AS largest_section_item, CASE WHEN n = 0 THEN 0 ELSE round(ratio, 4) END::DOUBLE AS largest_section_ratio, seven0 AS item_7_chars FROM r"),
+    "g4_diagnostics": with_sql(GATED, "SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE round(cov::DECIMAL(18, 12), 4) END::DOUBLE AS captured_ratio, CASE WHEN n = 0 THEN '' ELSE big END AS largest_section_item, CASE WHEN n = 0 THEN 0 ELSE round(ratio::DECIMAL(18, 12), 4) END::DOUBLE AS largest_section_ratio, seven0 AS item_7_chars FROM r"),
     "g5_tier_router": with_sql(GATED, "SELECT doc_id, method_used FROM r"),
     "g6_tier_router_v1": with_sql(GATED, "SELECT doc_id, CASE WHEN reason1 = 'all signals pass' THEN 'section_aware' ELSE 'fixed_size' END AS method_used FROM r"),
     "g7_filing_stats": with_sql(STATS, "SELECT * FROM st"),

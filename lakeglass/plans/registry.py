@@ -8,7 +8,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-MODULES = ("retrieval", "documents")
+MODULES = ("retrieval", "documents", "evaluation", "reports")
 
 
 def _merged(attribute: str) -> dict:

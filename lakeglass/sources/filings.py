@@ -101,7 +101,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def qa_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, value): non-blank lines with their number. A file of questions is small; its lines are numbered within the file."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r\n|\r|\n")).alias("line", "value"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r\n|\r|\n")).alias("line", "value"))
     return raw.select("file", (F.col("line") + 1).alias("line"), F.trim("value").alias("value")).filter("value <> ''")
 
 

@@ -37,8 +37,20 @@ def _parts(sections: Column, total: Column) -> dict[str, Column]:
     }
 
 
+def one_place(x: Column) -> Column:
+    """A double from 0 below 2^20 with one decimal place, as C prints it: of the binary value, ties to even. Java's format rounds the shortest decimal, half up.
+
+    Split at 2^-20, both parts times ten are exact, and so is what is compared with a half.
+    """
+    high = F.floor(x * (1 << 20)) / float(1 << 20)
+    tenths = F.floor(10 * high)
+    low, half = 10 * (x - high), 0.5 - (10 * high - tenths)
+    tenths = tenths + F.when((low > half) | ((low == half) & (tenths % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def _pct(x: Column) -> Column:
-    return F.format_string("%.1f%%", (100 * x).cast("double"))
+    return F.concat(one_place((100 * x).cast("double")), F.lit("%"))
 
 
 def strict_v2(sections: Column, total: Column, limits: Limits = LIMITS) -> Column:

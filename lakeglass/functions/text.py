@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,20 @@ def col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(x: Column) -> Column:
+    """The same value, worked out in the step that names it and nowhere else.
+
+    The optimizer moves filters below a step by putting its expressions in their place, as often as the filter names them, down to
+    the patterns over a text. It leaves an expression alone that is not deterministic, and the number of a partition passes for that.
+    """
+    return F.when(F.spark_partition_id() >= 0, x)
+
+
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body(x) with x worked out once for a row, however often body names it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def decode_text(content: str | Column) -> Column:
     """Bytes as UTF-8 without malformed parts, line ends as newline. A genuine U+FFFD goes too."""
     text = F.make_valid_utf8(col(content).cast("string"))
@@ -73,12 +89,13 @@ def primary_document(submission: str | Column, doc_type: str | Column) -> Column
 
 def first_sentence(section: str | Column, max_len: int = 80) -> Column:
     """The first sentence after the header line, in quotes; '(empty)' if there is no line after it."""
-    lines = F.filter(F.transform(F.split(col(section), "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s++|\s++$", "")), lambda x: x != "")
-    body = F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), " ")
-    found = F.regexp_extract(body, r"^(.{20,}?[.!?])(?:\s|$)", 1)
-    picked = F.when(found != "", found).otherwise(F.substring(body, 1, 80))
-    short = F.when(F.length(picked) > max_len, F.concat(F.substring(picked, 1, max_len - 1), F.lit("…"))).otherwise(picked)
-    return F.when(F.size(lines) < 2, F.lit("(empty)")).otherwise(F.concat(F.lit('"'), short, F.lit('"')))
+    lines = F.array_remove(F.transform(F.split(col(section), "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s++|\s++$", "")), "")
+
+    def quoted(body: Column) -> Column:
+        picked = let(F.regexp_extract(body, r"^(.{20,}?[.!?])(?:\s|$)", 1), lambda found: F.when(found != "", found).otherwise(F.substring(body, 1, 80)))
+        return let(picked, lambda p: F.concat(F.lit('"'), F.when(F.length(p) > max_len, F.concat(F.substring(p, 1, max_len - 1), F.lit("…"))).otherwise(p), F.lit('"')))
+
+    return let(lines, lambda ls: F.when(F.size(ls) < 2, F.lit("(empty)")).otherwise(let(F.array_join(F.slice(ls, 2, F.greatest(F.size(ls) - 1, F.lit(0))), " "), quoted)))
 
 
 def normalize_for_search(text: str | Column) -> Column:

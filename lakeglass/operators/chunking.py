@@ -5,18 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeglass.functions.items import standard_title
-from lakeglass.functions.text import col
+from lakeglass.functions.text import col, let, once, word_count
 
 SIZE, OVERLAP = 512, 64
 
 
 def white_space_tokens(text: str | Column) -> Column:
     """The default tokenizer: words by white space. They are joined again by one space."""
-    return F.filter(F.split(F.coalesce(col(text), F.lit("")), r"(?U)\s+"), lambda x: x != "")
+    return F.array_remove(F.split(F.coalesce(col(text), F.lit("")), r"(?U)\s+"), "")
 
 
 def join_tokens(tokens: Column) -> Column:
@@ -61,8 +61,8 @@ def windows(tokens: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     step = size - overlap
     if step < 1:
         raise ValueError("overlap must be less than size")
-    starts = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice(tokens, i + 1, size).alias("tokens")))
+    starts = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    return let(tokens, lambda tk: F.transform(starts(F.size(tk)), lambda i: F.struct(i.alias("at"), F.slice(tk, i + 1, size).alias("tokens"))))
 
 
 KEYS = ("ticker", "filing_type", "accession")
@@ -70,12 +70,7 @@ KEYS = ("ticker", "filing_type", "accession")
 
 def fixed_chunks(filings: DataFrame, size: int = SIZE, overlap: int = OVERLAP, text: str = "text", with_accession: bool = True) -> DataFrame:
     """Fixed windows over the whole text. Ids end in fixed_0000, …"""
-    rows = filings.select(*KEYS, white_space_tokens(text).alias("tk")).select(*KEYS, F.posexplode(windows(F.col("tk"), size, overlap)).alias("i", "w"))
-    name = ["ticker", "accession"] if with_accession else ["ticker"]
-    return rows.select(
-        *KEYS, F.concat_ws("_", *name, F.lit("fixed"), F.format_string("%04d", "i")).alias("chunk_id"), join_tokens(F.col("w.tokens")).alias("text"),
-        F.concat(F.lit("chunk_"), "i").alias("section_label"), F.lit("fixed_size").alias("chunking_method"), F.size("w.tokens").alias("token_count"),
-    )
+    return _rows(filings.withColumn("method_used", F.lit("fixed_size")), _fixed_windows(size, overlap, text), with_accession)
 
 
 def section_chunks(filings: DataFrame, size: int = SIZE, overlap: int = OVERLAP, text: str = "text", with_accession: bool = True, least: int = 0) -> DataFrame:
@@ -83,18 +78,38 @@ def section_chunks(filings: DataFrame, size: int = SIZE, overlap: int = OVERLAP,
 
     Windows that are shorter than least are joined to the one before, if the section has one.
     """
-    cut = F.flatten(F.transform("sections", lambda s: F.transform(_merged(windows(white_space_tokens(F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"])), size, overlap), least), lambda w: F.struct(s["item"].alias("item"), w["tokens"].alias("tokens")))))
+    return _rows(filings, _section_windows(size, overlap, text, least), with_accession)
+
+
+def _fixed_windows(size: int, overlap: int, text: str) -> Column:
+    return F.transform(windows(white_space_tokens(text), size, overlap), lambda w: F.struct(F.lit(None).cast("string").alias("item"), w["tokens"].alias("tokens")))
+
+
+def _section_windows(size: int, overlap: int, text: str, least: int = 0) -> Column:
+    cut = lambda s: F.transform(_merged(windows(white_space_tokens(_part(text, s)), size, overlap), least), lambda w: F.struct(s["item"].alias("item"), w["tokens"].alias("tokens")))
+    return F.flatten(F.transform("sections", cut))
+
+
+def _part(text: str, section: Column) -> Column:
+    return F.substring(F.col(text), section["start"] + 1, section["end"] - section["start"])
+
+
+def _rows(filings: DataFrame, cut: Column, with_accession: bool = True) -> DataFrame:
+    """A row for each (item, tokens) of an array; without an item it is a window over the whole text."""
     rows = filings.select(*KEYS, "method_used", F.posexplode(cut).alias("i", "w"))
     name = ["ticker", "accession"] if with_accession else ["ticker"]
+    kind, label = F.concat(F.lit("item"), "w.item"), F.concat(F.lit("Item "), "w.item", F.lit(" - "), standard_title(F.col("w.item")))
     return rows.select(
-        *KEYS, F.concat_ws("_", *name, F.concat(F.lit("item"), "w.item"), F.format_string("%04d", "i")).alias("chunk_id"), join_tokens(F.col("w.tokens")).alias("text"),
-        F.concat(F.lit("Item "), "w.item", F.lit(" - "), standard_title(F.col("w.item"))).alias("section_label"), F.col("method_used").alias("chunking_method"), F.size("w.tokens").alias("token_count"),
+        *KEYS, F.concat_ws("_", *name, F.coalesce(kind, F.lit("fixed")), F.format_string("%04d", "i")).alias("chunk_id"), join_tokens(F.col("w.tokens")).alias("text"),
+        F.coalesce(label, F.concat(F.lit("chunk_"), "i")).alias("section_label"), F.col("method_used").alias("chunking_method"), F.size("w.tokens").alias("token_count"),
     )
 
 
-def _merged(ws: Column, least: int) -> Column:
-    if least < 1:
-        return ws
+def _merged(windows_: Column, least: int) -> Column:
+    return windows_ if least < 1 else let(windows_, lambda ws: _with_tail(ws, least))
+
+
+def _with_tail(ws: Column, least: int) -> Column:
     tail, n = F.element_at(ws, -1), F.size(ws)
     before = F.element_at(ws, F.lit(-2))
     # The overlap that the tail repeats is left out.
@@ -103,24 +118,37 @@ def _merged(ws: Column, least: int) -> Column:
 
 
 def chunks(filings: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """By tier: sections where the gates allow it, fixed windows elsewhere. filings: as routed() returns them."""
-    labelled = filings.filter(F.col("method_used") != "fixed_size")
-    return section_chunks(labelled, size, overlap).unionByName(fixed_chunks(filings.filter(F.col("method_used") == "fixed_size"), size, overlap))
+    """By tier: sections where the gates allow it, fixed windows elsewhere, in one pass. filings: as routed() returns them."""
+    fixed = F.col("method_used") == "fixed_size"
+    return _rows(filings.filter("method_used IS NOT NULL"), F.when(fixed, _fixed_windows(size, overlap, "text")).otherwise(_section_windows(size, overlap, "text")))
+
+
+def chunk_count(size: int = SIZE, overlap: int = OVERLAP, text: str = "text") -> Column:
+    """How many rows chunks() makes of a filing, by counting words; no window is cut."""
+    n = lambda words: F.when(words > 0, F.floor((words - 1) / (size - overlap)) + 1).otherwise(0)
+    sections = F.aggregate("sections", F.lit(0).cast("long"), lambda s, x: s + let(word_count(_part(text, x)), n))
+    made = F.when(F.col("method_used") == "fixed_size", let(word_count(text), n)).when(F.col("method_used").isNotNull(), sections)
+    return F.coalesce(made, F.lit(0)).cast("long")
 
 
 def fixed_chunks_with_offsets(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, i, char_start, char_end, token_count, text): windows of words as they stand in the text, white space and all."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    t, step = F.coalesce(F.col(text), F.lit("")), size - overlap
     gaps, words = F.split(t, r"(?U)\S++", -1), F.regexp_extract_all(t, F.lit(r"(?U)\S++"), 0)
-    steps = F.zip_with(gaps, words, lambda g, w: F.struct(F.length(g).alias("g"), F.coalesce(F.length(w), F.lit(0)).alias("w")))
-    rows = docs.select(key, t.alias("t"), F.size(words).alias("n"), steps.alias("steps")).filter("n > 0")
-    starts = F.sequence(F.lit(0), F.col("n") - 1, F.lit(size - overlap))
-    rows = rows.select(key, "t", "n", "steps", F.posexplode(starts).alias("i", "at"))
-    last = F.least(F.col("at") + size, F.col("n"))
-    upto = lambda k: F.aggregate(F.slice("steps", 1, k), F.lit(0), lambda s, x: s + x["g"] + x["w"])
-    begin, end = upto(F.col("at")) + F.element_at("steps", F.col("at") + 1)["g"], upto(last)
-    out = rows.select(key, "i", "t", begin.alias("char_start"), end.alias("char_end"), (last - F.col("at")).alias("token_count"))
-    return out.select(key, "i", "char_start", "char_end", "token_count", F.substring(F.col("t"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start")).alias("text"))
+    rows = docs.select(key, once(gaps).alias("gaps"), once(words).alias("words")).filter(F.size("words") > 0)
+    # A piece is a word with the white space before it; of a window's steps, only sums over whole steps are added again.
+    rows = rows.select(key, once(F.transform("gaps", lambda g: F.length(g))).alias("before"), once(F.zip_with(F.slice("gaps", 1, F.size("words")), "words", lambda g, w: F.concat(g, w))).alias("pieces"))
+    joined = lambda at, n: F.array_join(F.slice("pieces", at + 1, n), "")
+    starts = F.sequence(F.lit(0), F.size("pieces") - 1, F.lit(step))
+    rows = rows.select("*", once(F.transform(starts, lambda at: F.length(joined(at, step)))).alias("steps"))
+
+    def window(at: Column, i: Column) -> Column:
+        gap = F.get("before", at)
+        begin = F.aggregate(F.slice("steps", 1, i), F.lit(0), lambda s, x: s + x) + gap
+        return let(F.substring(joined(at, size), gap + 1, F.lit((1 << 31) - 1)), lambda x: F.struct(begin.alias("char_start"), (begin + F.length(x)).alias("char_end"), F.least(F.lit(size), F.size("pieces") - at).alias("token_count"), x.alias("text")))
+
+    rows = rows.select(key, F.posexplode(F.transform(starts, window)).alias("i", "w"))
+    return rows.select(key, "i", "w.char_start", "w.char_end", "w.token_count", "w.text")
 
 
 def chunk_summary(chunks: DataFrame, key: str = "accession") -> DataFrame:
@@ -130,17 +158,33 @@ def chunk_summary(chunks: DataFrame, key: str = "accession") -> DataFrame:
 
 def sample_chunks(filings: DataFrame, size: int = SIZE, overlap: int = OVERLAP, chars: int = 500, text: str = "text") -> DataFrame:
     """(accession, place, i, text): the first, middle and last window of each filing, cut to so many characters."""
-    rows = filings.select("accession", windows(white_space_tokens(text), size, overlap).alias("ws")).filter(F.size("ws") > 0)
-    n = F.size("ws")
-    places = F.array(*(F.struct(F.lit(p).alias("place"), i.alias("i")) for p, i in (("first", F.lit(0)), ("middle", (n / 2).cast("int")), ("last", n - 1))))
-    rows = rows.select("accession", "ws", F.explode(places).alias("p"))
-    return rows.select("accession", "p.place", "p.i", F.substring(join_tokens(F.get("ws", F.col("p.i"))["tokens"]), 1, chars).alias("text"))
+    step = size - overlap
+    rows = filings.select("accession", once(white_space_tokens(text)).alias("tk")).filter(F.size("tk") > 0)
+    n = F.floor((F.size("tk") - 1) / step).cast("int") + 1
+    # Only the three windows are cut, and no row carries all of them.
+    cut = lambda i: F.substring(join_tokens(F.slice("tk", i * step + 1, size)), 1, chars)
+    places = F.array(*(F.struct(F.lit(p).alias("place"), i.alias("i"), cut(i).alias("text")) for p, i in (("first", F.lit(0)), ("middle", F.floor(n / 2).cast("int")), ("last", n - 1))))
+    return rows.select("accession", F.explode(places).alias("p")).select("accession", "p.place", "p.i", "p.text")
 
 
 def corpus_stats(filings: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row a filing, the fourteen columns of the stats table."""
     made = chunks.groupBy("accession").agg(F.count("*").alias("chunks_produced"))
-    rows = filings.join(made, "accession", "left")
+    return _stats(filings.join(made, "accession", "left"))
+
+
+def counted_stats(filings: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """corpus_stats of chunks(filings, size, overlap), without making them: the texts are gone through once, and none is shuffled."""
+    rows = filings.select("ticker", "filing_type", "accession", *_GATED, chunk_count(size, overlap).alias("n"))
+    # Filings of one accession share their chunks; those without one have none.
+    made = F.when(F.col("accession").isNotNull(), F.sum("n").over(Window.partitionBy("accession")))
+    return _stats(rows.withColumn("chunks_produced", made))
+
+
+_GATED = ("total_chars", "sections_detected", "quality_check_passed", "quality_check_reason", "method_used", "captured_ratio", "largest_section_item", "largest_section_ratio", "item_7_chars")
+
+
+def _stats(rows: DataFrame) -> DataFrame:
     return rows.select(
         "ticker", "filing_type", "accession", "total_chars", "sections_detected", "quality_check_passed", "quality_check_reason", "method_used",
         F.coalesce("chunks_produced", F.lit(0)).alias("chunks_produced"), "captured_ratio", "largest_section_item", "largest_section_ratio", "item_7_chars", F.lit("").alias("error"),

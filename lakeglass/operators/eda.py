@@ -109,11 +109,17 @@ def uncharacterized_rows(manifest: DataFrame) -> DataFrame:
     return manifest.filter("failure_mode = 'uncharacterized'").select("ticker", "filing_year", "chunking_method", "quality_check_reason")
 
 
+def _by_item(chunks: DataFrame) -> DataFrame:
+    """(item, chunks, tokens, companies) of labelled chunks, those whose label has no ' - ' under the item null."""
+    label = F.col("section_label")
+    item = F.when(F.contains(label, F.lit(" - ")), F.split_part(label, F.lit(" - "), F.lit(1)))
+    rows = chunks.filter(F.col("chunking_method").isin(*LABELED)).select(item.alias("item"), F.coalesce("token_count", F.lit(0)).alias("t"), "ticker")
+    return rows.groupBy("item").agg(F.count("*").alias("chunks"), F.sum("t").cast("long").alias("tokens"), F.count_distinct("ticker").alias("companies"))
+
+
 def item_composition(chunks: DataFrame) -> DataFrame:
     """(item, chunks, tokens, companies) of labelled chunks; the item is the label up to ' - ', and labels without it don't count."""
-    rows = chunks.filter(F.col("chunking_method").isin(*LABELED) & F.contains(F.col("section_label"), F.lit(" - ")))
-    rows = rows.select(F.split_part("section_label", F.lit(" - "), F.lit(1)).alias("item"), F.coalesce("token_count", F.lit(0)).alias("t"), "ticker")
-    return rows.groupBy("item").agg(F.count("*").alias("chunks"), F.sum("t").cast("long").alias("tokens"), F.count_distinct("ticker").alias("companies"))
+    return _by_item(chunks).filter("item IS NOT NULL")
 
 
 def labelled_totals(chunks: DataFrame) -> DataFrame:
@@ -123,8 +129,9 @@ def labelled_totals(chunks: DataFrame) -> DataFrame:
 
 def top_items(chunks: DataFrame, companies: int, k: int = 10) -> DataFrame:
     """(item, chunks, share_pct, avg_tokens, coverage): by number of chunks, ties by item; shares are of all labelled chunks."""
-    total = labelled_totals(chunks).select(F.col("chunks").alias("all"))
-    rows = item_composition(chunks).crossJoin(F.broadcast(total)).orderBy(F.desc("chunks"), "item").limit(k)
+    # The window is over the items, a few rows; the chunks are gone through once.
+    rows = _by_item(chunks).withColumn("all", F.sum("chunks").over(Window.partitionBy(F.lit(1))))
+    rows = rows.filter("item IS NOT NULL").orderBy(F.desc("chunks"), "item").limit(k)
     return rows.select("item", "chunks", F.round(100.0 * F.col("chunks") / F.col("all"), 4).alias("share_pct"), F.round(F.col("tokens") / F.col("chunks"), 4).alias("avg_tokens"), F.concat(F.col("companies").cast("string"), F.lit(f"/{companies}")).alias("coverage"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeglass.functions.items import item_order, standard_title
-from lakeglass.functions.text import col, first_sentence
+from lakeglass.functions.text import col, first_sentence, let, once
 
 HEADER = r"(?imdU)^\s*item\s+(\d{1,2}[a-c]?)\b\.?\s*(.*?)\s*$"
 
@@ -14,14 +14,16 @@ HEADER = r"(?imdU)^\s*item\s+(\d{1,2}[a-c]?)\b\.?\s*(.*?)\s*$"
 def headers(text: str | Column) -> Column:
     """All header matches (item, start, title) in order. Offsets come from the lengths of matches and of what is between them."""
     t = col(text)
-    between, whole = F.split(t, HEADER, -1), F.regexp_extract_all(t, F.lit(HEADER), 0)
-    code, title = F.regexp_extract_all(t, F.lit(HEADER), 1), F.regexp_extract_all(t, F.lit(HEADER), 2)
-    # Running sums in one pass: each step appends the next start.
-    steps = F.zip_with(between, whole, lambda g, m: F.struct(F.length(g).alias("g"), F.coalesce(F.length(m), F.lit(0)).alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    starts = F.aggregate(steps, start, lambda s, x: F.struct((s["at"] + x["g"] + x["m"]).alias("at"), F.concat(s["out"], F.array(s["at"] + x["g"])).alias("out")))["out"]
-    zipped = F.arrays_zip(F.transform(code, F.upper).alias("item"), starts.alias("start"), title.alias("title"))
-    return F.slice(zipped, 1, F.size(whole))
+
+    def found(between: Column, whole: Column) -> Column:
+        # Running sums in one pass: each step appends the next start.
+        steps = F.zip_with(between, whole, lambda g, m: F.struct(F.length(g).alias("g"), F.coalesce(F.length(m), F.lit(0)).alias("m")))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(steps, start, lambda s, x: F.struct((s["at"] + x["g"] + x["m"]).alias("at"), F.concat(s["out"], F.array(s["at"] + x["g"])).alias("out")))["out"]
+        # A match matches by itself with the same groups, so the text is gone through for its matches once.
+        return F.zip_with(whole, F.slice(starts, 1, F.size(whole)), lambda m, at: F.struct(F.upper(F.regexp_extract(m, HEADER, 1)).alias("item"), at.alias("start"), F.regexp_extract(m, HEADER, 2).alias("title")))
+
+    return let(F.split(t, HEADER, -1), lambda between: let(F.regexp_extract_all(t, F.lit(HEADER), 0), lambda whole: found(between, whole)))
 
 
 def section_map(text: str | Column) -> Column:
@@ -44,14 +46,15 @@ def section_map(text: str | Column) -> Column:
 
 def with_sections(filings: DataFrame, text: str = "text") -> DataFrame:
     """filings with total_chars and sections. Built in two steps, so that the matches are worked out once."""
-    return filings.withColumn("total_chars", F.length(text)).withColumn("sections", section_map(text))
+    return filings.withColumn("total_chars", F.length(text)).withColumn("sections", once(section_map(text)))
 
 
 def section_rows(filings: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, item, title, chars, preview) of each section."""
-    rows = filings.select(key, text, F.explode("sections").alias("s"))
-    part = F.substring(F.col(text), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
-    return rows.select(key, "s.item", "s.title", (F.col("s.end") - F.col("s.start")).alias("chars"), first_sentence(part).alias("preview"))
+    part = lambda s: F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"])
+    # Previews are made before sections become rows: no row carries the whole text.
+    made = F.transform("sections", lambda s: F.struct(s["item"].alias("item"), s["title"].alias("title"), (s["end"] - s["start"]).alias("chars"), first_sentence(part(s)).alias("preview")))
+    return filings.select(key, F.explode(made).alias("s")).select(key, "s.item", "s.title", "s.chars", "s.preview")
 
 
 def section_totals(filings: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -44,7 +44,7 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stats(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.corpus_stats(routed(spark, d), chunks(spark, d))
+    return chunking.counted_stats(routed(spark, d), SIZE, OVERLAP)
 
 
 def submissions(spark: SparkSession, d: str) -> DataFrame:

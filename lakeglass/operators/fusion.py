@@ -46,10 +46,12 @@ def reranked(ranking: DataFrame, score: Callable[[DataFrame], DataFrame], k: int
 def overlap_score(queries: DataFrame, docs: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """The default pair score: the share of the query's distinct words that the document has. A model's score takes its place as a pandas UDF."""
     q = queries.select("query_id", F.array_distinct(bm25.lexical_tokens("text")).alias("qt"))
-    d = docs.select("doc_id", F.array_distinct(bm25.lexical_tokens("text")).alias("dt"))
+    d = docs.select("doc_id", "text")
 
     def run(pool: DataFrame) -> DataFrame:
-        both = pool.join(q, "query_id").join(d, "doc_id")
+        # The pool's few ids go to the documents, so that no other text is split or shuffled.
+        few = d.join(F.broadcast(pool.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", F.array_distinct(bm25.lexical_tokens("text")).alias("dt"))
+        both = pool.join(q, "query_id").join(few, "doc_id")
         share = F.coalesce(F.try_divide(F.size(F.array_intersect("qt", "dt")), F.size("qt")), F.lit(0.0))
         return both.withColumn("rerank_score", F.round(share, 6)).drop("qt", "dt")
 

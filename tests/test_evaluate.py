@@ -89,3 +89,12 @@ def test_reports(spark):
     assert eda.histogram(df.filter("sector = 'tech'"), "sector", "x").collect()[0]["bin"] == 12
     m = manifest.manifest(table(spark, SMALL, "documents").select(F.lit("MET").alias("ticker"), F.lit("10-K").alias("filing_type"), F.concat(F.lit("1-24-"), F.col("doc_id").cast("string")).alias("accession"), F.lit(1).alias("total_chars"), F.lit(1).alias("sections_detected"), F.lit(True).alias("quality_check_passed"), F.lit("").alias("quality_check_reason"), F.lit("section_aware").alias("method_used"), F.lit(1).alias("chunks_produced"), F.lit(1.0).alias("captured_ratio"), F.lit("8").alias("largest_section_item"), F.lit(0.6).alias("largest_section_ratio"), F.lit(1).alias("item_7_chars")))
     assert {r["failure_mode"] for r in m.collect()} == {"large_item8_legit"} and manifest.ordered(m).first()["filing_year"] == "2024"
+
+
+def test_containing_is_that_of_sql(spark):
+    docs = spark.createDataFrame([(1, "aé b\n c"), (2, None), (3, ""), (4, "b\n c aé"), (4, "x")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "é b"), (8, ""), (9, None), (10, "b\n c"), (11, "zz")], "query_id long, text string")
+    want = docs.alias("d").join(asked.alias("q"), F.contains(F.col("d.text"), F.col("q.text"))).select("query_id", "doc_id")
+    got = evaluate.containing(docs, asked)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
